@@ -39,7 +39,7 @@ def canonical_count(column: Column) -> Column:
     """
     text = _stripped(column.cast("string"))
     bare = F.regexp_replace(text, r"^\+", "")
-    ungrouped = F.when(bare.rlike(r"^-?\d{1,3}([,._'’   ]\d{3})+$"), F.regexp_replace(bare, r"[^0-9-]", "")).when(
+    ungrouped = F.when(bare.rlike(r"^-?\d{1,3}([,._'’\x{00A0}\x{202F} ]\d{3})+$"), F.regexp_replace(bare, r"[^0-9-]", "")).when(
         bare.rlike(r"^-?\d{1,3}(,\d{3})+\.0*$"), F.regexp_replace(F.regexp_replace(bare, r"\.0*$", ""), ",", "")
     ).otherwise(bare)
     # The expression is applied through transform so that the intermediate text is evaluated once.
