@@ -286,6 +286,9 @@ def word_chunks(texts: Iterable[str | None], pattern: str) -> Iterator[tuple[pa.
             parts.append((i, len(found)))
             chars += len(text)
         else:
+            if words:  # those of the texts before come first
+                yield pa.array(words, type=pa.string()), parts
+                words, parts, chars = [], [], 0
             matches = split.finditer(text)
             while found := [m[0] for m in islice(matches, CHUNK_WORDS)]:
                 yield pa.array(found, type=pa.string()), [(i, len(found))]
