@@ -3,13 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quirespark.llm.garbled import garbled
+from quirespark.llm.languages import detected, label_names, mislabelled, unnamed
+from quirespark.llm.lookalikes import unusual
+from quirespark.llm.names import variants
 from quirespark.llm.packing import pack
 from quirespark.llm.sentences import sentences
 from quirespark.llm.tokens import encode, token_counts
 from quirespark.session import cut, table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled(table(spark, sf_dir, "metadata_results")).select("record_id", "field_name")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    authors = table(spark, sf_dir, "metadata_results").select(F.explode("authors").alias("name"))
+    return variants(authors, table(spark, sf_dir, "title_metadata").select("file_as"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = label_names([tuple(r) for r in table(spark, sf_dir, "languages_ref").select("lang", "iso3", "name_en", "name_native").collect()])
+    texts = cut(detected(table(spark, sf_dir, "documents"), "doc_id", "text", ("lang", "pub_id")))
+    described = detected(table(spark, sf_dir, "metadata_results"), "record_id", "description", ("language_tag",), skip_garbled=True)
+    return (
+        mislabelled(texts, "doc_id", "lang", names, "documents")
+        .unionAll(mislabelled(described, "record_id", "language_tag", names, "metadata_results"))
+        .unionAll(unnamed(texts, table(spark, sf_dir, "corpus_catalog"), "pub_id", "languages", names, "corpus_catalog"))
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = unusual(table(spark, sf_dir, "metadata_results"), "record_id", ("title", "authors"))
+    titles = unusual(table(spark, sf_dir, "title_metadata"), "title_id", ("title_value",))
+    rows = [f.select(F.lit(name).alias("tab_name"), F.col(key).alias("row_id"), "field_name") for f, name, key in ((read, "metadata_results", "record_id"), (titles, "title_metadata", "title_id"))]
+    return rows[0].unionAll(rows[1])
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
@@ -23,5 +55,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_packing": p8_packing, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packing": p8_packing, "p9_found": p9_found}
 SQL: dict[str, str] = {}
