@@ -36,6 +36,8 @@ def dot_product_packing(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     container = np.zeros(len(sizes), dtype=np.int64)
     if not len(sizes):
         return container
+    if (sizes > limits).any():
+        raise ValueError(f"an item of {sizes[(sizes > limits).any(axis=1)][0].tolist()} exceeds the limits {list(map(int, limits))} of an empty container")
     distinct, inverse, counts = np.unique(sizes, axis=0, return_inverse=True, return_counts=True)
     members = np.argsort(inverse.ravel(), kind="stable")
     taken = np.concatenate([[0], np.cumsum(counts)[:-1]])
@@ -102,6 +104,8 @@ def pack(
     asked = []
     for row in rows:
         r: dict[str, Any] = row.asDict()
+        if r["capacity_tokens"] is None:
+            raise ValueError(f"limit {r['limit_id']} has no capacity")
         capacity = int(r["capacity_tokens"])
         most = np.array([capacity, int(r.get("max_segments") or max(8, capacity // TOKENS_A_SEGMENT)), int(r.get("max_loss") or capacity)])
         known[int(r["limit_id"])] = most
@@ -115,15 +119,23 @@ def pack(
         F.when(F.col("loss") > F.col("limit.l"), F.col("limit.l").cast("bigint")),
         F.when(F.col("segments") > F.col("limit.s"), F.greatest(F.lit(1), F.floor(F.col("tokens") * F.col("limit.s") / F.col("segments")))),
     )
-    each = each.withColumn("step", step)
-    parts = each.withColumn("part_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), F.ceil(F.col("tokens") / F.col("step")) - 1))))
-    start = F.col("part_no") * F.col("step")
-    end = F.least(F.col("tokens"), start + F.col("step"))
+    # with fewer tokens than parts, an item is divided by its segments, and so many parts share its tokens
+    thin = (F.col("segments") > F.col("limit.s")) & (F.col("tokens") * F.col("limit.s") < F.col("segments"))
+    each = each.withColumn("step", step).withColumn("n_parts", F.when(thin, F.ceil(F.col("segments") / F.col("limit.s"))))
+    last = F.coalesce("n_parts", F.ceil(F.col("tokens") / F.col("step"))) - 1
+    parts = each.withColumn("part_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), last))))
+
+    def thin_share(column: str, at: F.Column) -> F.Column:
+        return F.floor(at * F.col(column) / F.col("n_parts"))
+
+    start = F.coalesce(thin_share("tokens", F.col("part_no")), F.col("part_no") * F.col("step"))
+    end = F.coalesce(thin_share("tokens", F.col("part_no") + 1), F.least(F.col("tokens"), F.col("part_no") * F.col("step") + F.col("step")))
 
     def share(column: str) -> F.Column:
         of = F.col(column)
+        thinly = thin_share(column, F.col("part_no") + 1) - thin_share(column, F.col("part_no"))
         cut = F.when(F.col("tokens") > 0, F.floor(end * of / F.col("tokens")) - F.floor(start * of / F.col("tokens")))
-        return F.coalesce(cut, of)
+        return F.coalesce(thinly, cut, of)
 
     parts = parts.select(
         F.col("limit.id").alias("limit_id"), "key", F.col("part_no").cast("int").alias("part_no"), start.alias("start_token"),

@@ -1,0 +1,36 @@
+"""Items that exceed a limit other than the tokens."""
+
+import numpy as np
+import pytest
+
+from quirespark.llm.packing import containers, dot_product_packing, pack
+from quirespark.session import build_session
+
+ITEMS = [(1, 0, 100, 0), (2, 3, 40, 2), (3, 25, 1, 25), (4, 30, 33, 12), (5, 7, 2, 0), (6, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def spark():
+    session = build_session("tests", 2, driver_memory="1g")
+    yield session
+    session.stop()
+
+
+def test_every_part_is_within_three_different_limits(spark):
+    items = spark.createDataFrame(ITEMS, "doc_id long, n_tokens long, seg long, loss long")
+    limits = spark.createDataFrame([(1, 10, 8, 4)], "limit_id int, capacity_tokens int, max_segments int, max_loss int")
+    packed = pack(items, limits, segments="seg", loss="loss")
+    rows = packed.groupBy("doc_id").agg({"n_tokens": "sum", "n_segments": "sum", "n_loss": "sum"}).collect()
+    found = {r["doc_id"]: (r["sum(n_tokens)"], r["sum(n_segments)"], r["sum(n_loss)"]) for r in rows}
+    for doc, tokens, segments, loss in ITEMS:
+        assert (found[doc][0], found[doc][2]) == (tokens or 0, loss or 0)
+        assert found[doc][1] >= (segments or 0)
+    for r in containers(packed).collect():
+        assert r["used_tokens"] <= 10 and r["used_segments"] <= 8 and r["used_loss"] <= 4
+
+
+def test_what_fits_no_container_is_an_error(spark):
+    with pytest.raises(ValueError, match="exceeds"):
+        dot_product_packing(np.array([[0, 100, 0]]), np.array([10, 8, 4]))
+    with pytest.raises(ValueError, match="no capacity"):
+        pack(spark.createDataFrame([(1, 1)], "doc_id long, n_tokens long"), spark.createDataFrame([(1, None)], "limit_id int, capacity_tokens int"))
