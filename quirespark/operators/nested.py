@@ -1,13 +1,13 @@
 """Deeply nested records as related flat tables.
 
-A record is JSON text. Its text is decoded once into an Arrow array of a declared nested type (the shape), which settles
-naming styles and lone values. From there no row is looked at: each list level becomes a child table by list offsets and
-parent indices, and the keys and scalar fields of all levels above reach the children by vectorised take.
+A record is JSON text. A block of texts becomes an Arrow array of a declared nested type (the shape) by array operations
+over its bytes (jsontape), which also settle naming styles and lone values. No record is gone through by itself: each list
+level becomes a child table by list offsets and parent indices, and the keys and scalar fields of all levels above reach
+the children by vectorised take.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Records decoded at a time inside a task, which bounds the Python objects alive.
-CHUNK_ROWS = 256
+from quirespark.operators.jsontape import decode_texts
+
+#: Bytes of text decoded at a time inside a task (a longer text by itself), which bounds the arrays alive.
+CHUNK_BYTES = 4_000_000
 
 
 class Identifier:
@@ -46,62 +48,22 @@ def arrow_type(shape: Shape) -> pa.DataType:
     return pa.int64() if shape is int else pa.string()
 
 
-def _unwrapped(value: Any) -> Any:
-    """JSON that was written as text inside JSON."""
-    while isinstance(value, str) and value.lstrip("﻿ \t\r\n")[:1] in ("{", "[", '"'):
-        try:
-            value = json.loads(value.lstrip("﻿"))
-        except ValueError:
-            break
-    return value
+def decode(texts: pa.Array, shape: Mapping[str, Shape]) -> pa.Array:
+    """The records in an array of texts, null where a text is null or breaks off; outer objects and text around it, in any
+    depth, are taken off. What has no place in the shape is left out, what doesn't fit is null; whole numbers beyond 64 bits
+    don't fit."""
+    return decode_texts(texts, shape, canonical_name, Identifier)
 
 
-def conform(value: Any, shape: Shape) -> Any:
-    """value in the form of shape; what has no place in it is left out, what doesn't fit is null."""
-    if isinstance(shape, Mapping):
-        value = _unwrapped(value)
-        if not isinstance(value, dict):
-            return None
-        found: dict[str, Any] = {}
-        for name, inner in value.items():
-            known = canonical_name(name)
-            if known in shape and found.get(known) is None:
-                found[known] = inner
-        return {name: conform(found.get(name), inner) for name, inner in shape.items()}
-    if isinstance(shape, list):
-        value = _unwrapped(value)
-        if value is None:
-            return None
-        return [conform(x, shape[0]) for x in (value if isinstance(value, list) else [value])]
-    if isinstance(shape, Identifier):
-        value = _unwrapped(value) if isinstance(value, str) and value[:1] == "{" else value
-        if isinstance(value, dict):
-            fields = {canonical_name(k): v for k, v in value.items() if v is not None}
-            value = next((fields[n] for n in shape.names if n in fields), None)
-        return None if value is None or isinstance(value, (dict, list)) else value if isinstance(value, str) else json.dumps(value)
-    if shape is int:
-        try:
-            return None if isinstance(value, bool) else int(value)
-        except (TypeError, ValueError, OverflowError):
-            return None
-    return value if value is None or isinstance(value, str) else json.dumps(value)
-
-
-def decode(text: str | None, shape: Mapping[str, Shape], depth: int = 4) -> Any:
-    """The record in a text, or null where it is null or breaks off; outer objects and text around it are taken off."""
-    if text is None:
-        return None
-    try:
-        value = json.loads(text.lstrip("﻿"))
-    except (ValueError, RecursionError):
-        return None
-    for _ in range(depth):
-        value = _unwrapped(value)
-        if not isinstance(value, dict) or any(canonical_name(k) in shape for k in value):
-            break
-        inner = [v for v in map(_unwrapped, value.values()) if isinstance(v, dict)]
-        value = next((v for v in inner if any(canonical_name(k) in shape for k in v)), inner[0] if inner else None)
-    return conform(value, shape) if isinstance(value, dict) else None
+def chunks(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of bounded text, at least one row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def explode_list(lists: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -157,17 +119,15 @@ def nested_tables(
     """The child tables of the JSON records in df[column], brought to rows of schema by emit, in one pass over df.
 
     Only keys and column are read, so other columns may have any names. A null, blank or broken text gives no row, nor do
-    null and empty lists; repeated records are kept. The work is done record by record of the partition, without a shuffle.
+    null and empty lists; repeated records are kept. The work is done block by block of the partition, without a shuffle.
     """
     kept = df.select(*[F.col(f"`{k}`").alias(f"key_{i}") for i, k in enumerate(keys)], F.col(f"`{column}`").cast("string").alias("json"))
     target, nested = arrow_type(shape), [f"key_{i}" for i in range(len(keys))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, CHUNK_ROWS):
-                part = batch.slice(start, CHUNK_ROWS)
-                texts = part.column(part.schema.get_field_index("json")).to_pylist()
-                records = pa.array([decode(x, shape) for x in texts], type=target)
+            for part in chunks(batch, len(nested)):
+                records = decode(part.column(len(nested)), shape).cast(target)
                 own = {k: part.column(part.schema.get_field_index(n)) for k, n in zip(keys, nested, strict=True)}
                 yield from emit(flatten(records, own)).combine_chunks().to_batches()
 
@@ -224,8 +184,10 @@ def _report_items(tables: dict[str, pa.Table]) -> pa.Table:
     for name, path in (("node", _NODES), ("chapter", _CHAPTERS), ("fallback", _FALLBACK)):
         rows = tables[path]
         rows = rows.filter(pc.is_valid(rows[path]))
-        if name == "fallback":  # a decision without a position is told by its place
-            above = pc.cast(pc.coalesce(rows[f"{_SPINE}.position"], rows[f"{_SPINE}#"]), pa.int32(), safe=False)
+        if name == "fallback":  # a decision without a position, or one beyond 32 bits, is told by its place
+            position = rows[f"{_SPINE}.position"]
+            fits = pc.and_(pc.greater_equal(position, -(2**31)), pc.less(position, 2**31))
+            above = pc.cast(pc.coalesce(pc.if_else(fits, position, None), rows[f"{_SPINE}#"]), pa.int32())
         else:
             above = pa.array(np.full(rows.num_rows, -1, dtype=np.int32))
         parts.append(

@@ -35,10 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or our own one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or on one machine our own one where that is unset."""
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not configured:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = "file://" + os.path.join(tempfile.gettempdir(), "quirespark-checkpoints")
         context.setCheckpointDir(configured)
     elif not context.getCheckpointDir():
