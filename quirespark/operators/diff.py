@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quirespark.session import cut
 
 #: Rows expected in one range of the narrowest level, and bits by which a level is narrower than the one above it.
-LEAF_ROWS, LEVEL_BITS = 16, 4
+LEAF_ROWS, LEVEL_BITS = 1, 4
 _HIGHEST_BITS = 60
 
 
