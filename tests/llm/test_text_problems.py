@@ -6,7 +6,7 @@ import __spark_entry__
 from quirespark.llm.garbled import is_garbled, repaired
 from quirespark.llm.languages import label_language, label_names, text_languages
 from quirespark.llm.lookalikes import is_unusual, ordinary
-from quirespark.llm.names import alike, average_linkage, variants
+from quirespark.llm.names import alike, variants
 
 RIGHT = ["Canção em Dozal", "Füße über Größe", "Старый причал", "La Fenêtre de Noël", "A reader’s guide – “one”"]
 
@@ -39,7 +39,6 @@ def test_spellings_of_names():
         assert alike(a, b) >= 0.5, (a, b)
     for a, b in (("Katharina Brune", "Elizabeth Brune"), ("Walter Amara", "Walter Bosevade"), ("Editora Rumabisu", "Instituto Rumabisu de Letras"), ("Fundação de Marés, A", "FUNDAÇÃO DE MARÉS, A"), ("A. Falk Brune", "A. Luz Brune")):
         assert alike(a, b) == 0, (a, b)
-    assert sorted(map(len, average_linkage(["F. Brune", "Fernando Brune", "Francisco Brune"]))) == [1, 2]
 
 
 def test_pairs_of_names(spark):
