@@ -303,7 +303,7 @@ def _by_bytes(text: str, encoding: str, spans: list[Span], agreed: bool) -> tupl
         while k < len(spans) and spans[k].end <= start:
             k += 1
         held = k < len(spans) and spans[k].start < end
-        if not held and not (agreed and (not text[start - 1 : start].isalpha() or {"\u00a0", "\u00ad"} & set(text[start:end]))):
+        if not held and not (agreed and (not text[start - 1 : start].isalpha() or text[end : end + 1].isalpha() or {"\u00a0", "\u00ad"} & set(text[start:end]))):
             continue
         right, n = _sequences(text[start:end], encoding)
         if held or n == end - start:

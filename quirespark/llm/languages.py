@@ -65,6 +65,19 @@ def _word(word: str) -> list[tuple[int, float]]:
     return found
 
 
+#: Words; a single consonant is one before an apostrophe only, otherwise an initial.
+_LATIN_WORDS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]{2,}|(?<![A-Za-zÀ-ÖØ-öø-ÿ])(?:[AEIOYaeioyÀÉàéÓó]|[b-df-hj-np-tv-z](?=['’]))(?![A-Za-zÀ-ÖØ-öø-ÿ.])")
+
+
+def word_scores(text: str, start: int, end: int) -> list[float]:
+    """What the words of a stretch say for each language in Latin letters."""
+    scores = [0.0] * len(LATIN_LANGS)
+    for found in _LATIN_WORDS.finditer(text, start, end):
+        for i, weight in _word(found[0].lower()):
+            scores[i] += weight
+    return scores
+
+
 class _Stretch:
     __slots__ = ("start", "end", "latin", "scores", "counts", "ended")
 

@@ -1,8 +1,9 @@
 """Sentence boundaries by cascading tables of break and no-break rules.
 
 A rule is a pair of regular expressions, one for the text up to a position and one for the text from it, and says whether
-the position ends a sentence. The tables of the scripts and languages of a paragraph are gone through in order; the first
-rule whose two expressions match decides. Positions inside a quotation or a pair of brackets are never ends.
+the position ends a sentence. The tables of the script before a position and of the language of its sentence are gone
+through in order; the first rule whose two expressions match decides. Positions inside a quotation or a pair of brackets
+are never ends.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirespark.llm.languages import LATIN_LANGS, word_scores
+from quirespark.llm.tokens import slices
+
 # Abbreviations and names by language, as they are printed.
 TITLES = {
     "en": "Mr Mrs Ms Dr Prof St Sgt Capt Lt Col Gen Rev Hon Messrs Mt Ft",
@@ -47,6 +51,8 @@ MONTHS = {
     "de": "Jan Feb Febr Mär Apr Jun Jul Aug Sep Sept Okt Nov Dez",
     "ru": "янв февр мар апр авг сент окт нояб дек",
 }
+#: References that are words too: they are short for something before a number only.
+ALSO_WORDS = {"en": "no art app para ex fig sec ch No Art App", "pt": "art cap sec", "es": "art cap sec", "fr": "art chap env", "de": "Art Tab Ex"}
 GERMAN_AFTER_ORDINAL = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Jh Jhd Jahrhundert Auflage Kapitel Band Jahr Tag Woche Teil Mal Stock"
 GERMAN_BEFORE_ORDINAL = "am im vom zum zur beim der die das dem des"
 STARTERS = "The A An In It This That These However He She They We But When If O Os As Uma Um No Na El La Los Las Le Les Der Die Das Il Elle Ein Eine В И На"
@@ -64,11 +70,27 @@ CLOSERS = "\"'”’»›)]}」』）】》〉“"
 
 
 def _any(words: str) -> str:
-    return "|".join(regex.escape(w) for w in sorted(words.split(), key=len, reverse=True))
+    """One expression for words, also where their marks stand apart."""
+    every = {form for w in words.split() for form in (w, normalize("NFD", w))}
+    return "|".join(regex.escape(w) for w in sorted(every, key=lambda w: (-len(w), w)))
+
+
+def _printed(words: str, *, capitals: bool = False) -> str:
+    """Words as they are printed, and at the beginning of a sentence, and in capitals where they can't be another word then."""
+    every = words.split()
+    return " ".join([*every, *(w[:1].upper() + w[1:] for w in every), *(w.upper() for w in every if capitals and len(w) > 1)])
 
 
-def _all(table: dict[str, str], *langs: str) -> str:
-    return _any(" ".join(table[x] for x in langs or table))
+def _all(table: dict[str, str], *langs: str, capitals: bool = False) -> str:
+    return _any(_printed(" ".join(table.get(x, "") for x in langs or table), capitals=capitals))
+
+
+def _references(*langs: str) -> list[tuple[str, str]]:
+    """The expressions of references that nothing else is spelt like, and of those that are words too, with what follows."""
+    words = {w for x in langs for w in _printed(ALSO_WORDS.get(x, "")).split()}
+    sure = {w for x in langs for w in _printed(REFERENCES[x]).split()} - words
+    out = [(_any(" ".join(sorted(sure))), r"\s*(?:[\p{Nd}§#°ºª]|[IVXLC]+\b|\p{Lu}\b|[a-z]+[\w-]*\.\d)")]
+    return out + ([(_any(" ".join(sorted(words))), r"\s*(?:[\p{Nd}§#°ºª]|(?![AEIOYÀ])\p{Lu}\b)")] if words else [])
 
 
 class Rule(NamedTuple):
@@ -80,7 +102,15 @@ class Rule(NamedTuple):
 #: Closing marks that may stand between the end of a sentence and the position.
 _CLOSED = r"(?:[ \u00a0\u202f]?[”»\"'’)\]」』）】》〉“])*"
 _WORD_EDGE = r"(?<![\p{L}\p{M}\p{N}])"
-_LATIN = ("en", "pt", "es", "fr", "de")
+
+
+def _abbreviations(*langs: str) -> list[Rule]:
+    """The rules of abbreviations of some languages in Latin letters."""
+    rules = [Rule(False, rf"{_WORD_EDGE}(?:{_all(TITLES, *langs, capitals=True)})\.", r"\s*[\p{L}\p{Nd}]")]
+    rules += [Rule(False, rf"{_WORD_EDGE}(?:{words})\.", after) for words, after in _references(*langs)]
+    return [*rules, Rule(False, rf"{_WORD_EDGE}(?:{_all(MONTHS, *langs, capitals=True)})\.", r"\s*(?:de\s+)?\p{Nd}")]
+
+
 _CASED_START = r"\s++[“\"«„(\[¿¡‘—–*•-]*+\s*+"
 
 #: Table by name; `before` is matched up to the position, `after` from it on.
@@ -89,23 +119,20 @@ TABLES: dict[str, list[Rule]] = {
         Rule(False, r"\s(?:\.{2,}|…+)", r"\s+(?!\p{Lu})"),
         Rule(False, r"(?:\.{2,}|…+)", r"[\s]*[\p{Ll},;:]"),
         Rule(False, r"(?:…|。。)+", r"[\p{Han}\p{Hiragana}\p{Katakana}]"),
-        Rule(False, r"\A\s*(?:\d{1,3}|[IVXLC]{1,5}|\p{L})\.", r"[ \t]+\S"),
     ],
-    "latin": [
+    "acronyms": [
         Rule(True, rf"{_WORD_EDGE}(?:\p{{Lu}}\.){{2,}}", rf"\s+(?:{_any(STARTERS)})\s"),
         Rule(False, rf"{_WORD_EDGE}(?:\p{{Lu}}\p{{M}}*\.)+", r"\s*[\p{Lu}\p{Nd}-]"),
-        Rule(False, rf"{_WORD_EDGE}(?i:{_all(TITLES, *_LATIN)})\.", r"\s*[\p{L}\p{Nd}]"),
-        Rule(False, rf"{_WORD_EDGE}(?i:{_all(REFERENCES, *_LATIN)})\.", r"\s*(?:[\p{Nd}§#°ºª]|[IVXLC]+\b|\p{Lu}\b|[a-z]+[\w-]*\.\d)"),
-        Rule(False, rf"{_WORD_EDGE}(?i:{_all(MONTHS, *_LATIN)})\.", r"\s*(?:de\s+)?\p{Nd}"),
     ],
     "de": [
+        Rule(False, rf"{_WORD_EDGE}(?:[zuidosv]|[Zz]\.[Bb]|[Uu]\.[Aa])\.", r"\s*[A-Za-z]{1,2}\."),
         Rule(False, r"(?<![\p{L}\p{N},.])\d{1,2}\.", rf"\s+(?:{_any(GERMAN_AFTER_ORDINAL)})(?!\p{{L}})"),
         Rule(False, rf"{_WORD_EDGE}(?:{_any(GERMAN_BEFORE_ORDINAL)})\s+\d{{1,2}}\.", r"\s+\p{Lu}"),
     ],
     "ru": [
         Rule(False, rf"{_WORD_EDGE}\p{{Lu}}\.", r"\s*[\p{Lu}\p{Nd}-]"),
-        Rule(False, rf"{_WORD_EDGE}(?i:{_all(TITLES, 'ru')}|{_all(MONTHS, 'ru')})\.", r"\s*[\p{L}\p{Nd}]"),
-        Rule(False, rf"{_WORD_EDGE}(?i:{_all(REFERENCES, 'ru')})\.", r"\s*(?:[\p{Nd}§#№]|\p{Ll}|https?:)"),
+        Rule(False, rf"{_WORD_EDGE}(?:{_all(TITLES, 'ru')}|{_all(MONTHS, 'ru')})\.", r"\s*[\p{L}\p{Nd}]"),
+        Rule(False, rf"{_WORD_EDGE}(?:{_all(REFERENCES, 'ru')})\.", r"\s*(?:[\p{Nd}§#№]|\p{Ll}|https?:)"),
     ],
     "cased": [
         Rule(True, rf"[.!?…]{_CLOSED}", rf"\s+[\w-]+(?:\.[\w-]+)*\.(?:{_any(FILE_ENDINGS)})(?![\p{{L}}\p{{N}}])"),
@@ -146,23 +173,24 @@ TABLES: dict[str, list[Rule]] = {
     ],
 }
 
-#: Tables by the script just before a position, in the order they are gone through.
+#: Tables by the script just before a position, in the order they are gone through. `abbreviations` are those of the language.
 CASCADES = {
-    "latin": ("dots", "latin", "de", "cased"),
-    "cyrillic": ("dots", "ru", "latin", "cased"),
-    "arabic": ("dots", "ar", "latin", "cased"),
-    "devanagari": ("dots", "hi", "latin", "cased"),
-    "cjk": ("dots", "cjk", "latin", "cased"),
-    "thai": ("dots", "th", "latin", "cased"),
+    "latin": ("dots", "acronyms", "abbreviations", "cased"),
+    "cyrillic": ("dots", "ru", "acronyms", "abbreviations", "cased"),
+    "arabic": ("dots", "ar", "acronyms", "abbreviations", "cased"),
+    "devanagari": ("dots", "hi", "acronyms", "abbreviations", "cased"),
+    "cjk": ("dots", "cjk", "acronyms", "abbreviations", "cased"),
+    "thai": ("dots", "th", "acronyms", "abbreviations", "cased"),
 }
-#: Characters before a position that the left expressions may look at.
-LOOK_BACK = 40
+#: A number or letter at the beginning of a paragraph.
+_ENUMERATOR = regex.compile(r"(?:\d{1,3}|[IVXLC]{1,5}|\p{L}\p{M}?)\.")
+_ENUMERATED = regex.compile(r"[ \t]+\S")
 
-_SCRIPTS = regex.compile(
+_SCRIPT_LETTERS = (
     r"(?P<latin>\p{Latin})|(?P<cyrillic>\p{Cyrillic}|\p{Greek})|(?P<arabic>\p{Arabic}|\p{Hebrew})|(?P<devanagari>\p{Devanagari})"
-    r"|(?P<cjk>\p{Han}|\p{Hiragana}|\p{Katakana}|\p{Hangul})|(?P<thai>\p{Thai})",
-    regex.REVERSE,
+    r"|(?P<cjk>\p{Han}|\p{Hiragana}|\p{Katakana}|\p{Hangul})|(?P<thai>\p{Thai})"
 )
+_SCRIPTS, _SCRIPTS_FORWARD = regex.compile(_SCRIPT_LETTERS, regex.REVERSE), regex.compile(_SCRIPT_LETTERS)
 _BLANK_LINE = regex.compile(r"(?>\r\n|[\n\r ])[^\S\r\n ]*(?>\r\n|[\n\r ])\s*| \s*")
 _CANDIDATE = regex.compile(rf"[{regex.escape(TERMINALS)}]+|(?<=[\p{{Thai}}”»\")])[^\S\r\n]+(?=[\p{{Thai}}“«\"(])")
 _MARKS = regex.compile("[" + regex.escape("".join({*QUOTES, *QUOTES.values(), '"'})) + "]")
@@ -172,33 +200,89 @@ _LETTER = regex.compile(r"\p{L}")
 
 
 @lru_cache(maxsize=None)
-def _compiled(script: str) -> list[tuple[bool, regex.Pattern, regex.Pattern]]:
-    return [(r.ends, regex.compile(rf"(?:{r.before})\Z"), regex.compile(r.after)) for name in CASCADES[script] for r in TABLES[name]]
+def _compiled(script: str, lang: str | None) -> tuple[regex.Pattern, list[tuple[bool, bool]]]:
+    """A cascade as one expression whose first alternative that matches at a position decides, and what each alternative says:
+    whether it ends a sentence, and whether another language could say otherwise. Without a language, those of all apply."""
+    rules: list[tuple[Rule, bool]] = []
+    for name in CASCADES[script]:
+        if name == "abbreviations":
+            rules += [(r, True) for r in _abbreviations(*([lang] if lang else LATIN_LANGS))]
+            rules += [(r, True) for r in (TABLES["de"] if lang in (None, "de") else [])]
+        else:
+            rules += [(r, False) for r in TABLES[name]]
+    # each alternative ends with an empty group of its own, which tells it
+    each = "|".join(f"(?<={r.before})(?={r.after})()" for r, _ in rules)
+    return regex.compile(each), [(r.ends, by_language) for r, by_language in rules]
+
+
+#: Characters behind a position whose words can tell the language of a sentence that has hardly begun.
+AHEAD = 60
+
+
+class _Language:
+    """The language of the sentence that is being read: by its words so far, else with those that follow at once, else by
+    its paragraph's where that is plainly of one language."""
+
+    def __init__(self, text: str, start: int, end: int) -> None:
+        self.text, self.start, self.end, self.at = text, start, end, start
+        self.scores = [0.0] * len(LATIN_LANGS)
+        self.whole: str | None = None
+        self.read_whole = False
+
+    def begin(self, at: int) -> None:
+        self.at, self.scores = at, [0.0] * len(LATIN_LANGS)
+
+    def name(self, at: int) -> str | None:
+        if at > self.at:
+            self.scores = [a + b for a, b in zip(self.scores, word_scores(self.text, self.at, at))]
+            self.at = at
+        found = _top(self.scores)
+        if found is None:
+            ahead = word_scores(self.text, at, min(self.end, at + AHEAD))
+            found = _top([a + b for a, b in zip(self.scores, ahead)])
+        if found is None:
+            if not self.read_whole:
+                self.whole, self.read_whole = _top(word_scores(self.text, self.start, self.end), 3), True
+            found = self.whole
+        return found
+
+
+def _top(scores: list[float], times: float = 1) -> str | None:
+    """The language with the highest score, None where that is low or another is near."""
+    best, second = sorted(scores)[-1:-3:-1]
+    return LATIN_LANGS[scores.index(best)] if best >= 1 and best >= second + 0.5 and best >= times * second else None
 
 
 def _pairs(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], set[int]]:
     """Outermost matched quotations and brackets of a paragraph, and the places of all matched closing marks."""
     stack: list[tuple[str, int]] = []
+    depths: dict[str, list[int]] = {}  # of each mark on the stack
     spans: list[tuple[int, int]] = []
     closing: set[int] = set()
+
+    def push(closing_mark: str, at: int) -> None:
+        depths.setdefault(closing_mark, []).append(len(stack))
+        stack.append((closing_mark, at))
+
     for mark in _MARKS.finditer(text, start, end):
         char, at = mark[0], mark.start()
         before, after = text[at - 1 : at] if at > start else " ", text[at + 1 : at + 2] if at + 1 < end else " "
         if char == "’" and _LETTER.match(before) and _LETTER.match(after):
             continue  # an apostrophe
-        known = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == char), None)
-        if known is not None:
+        if depths.get(char):
+            known = depths[char][-1]
             opened = stack[known][1]
-            del stack[known:]
+            while len(stack) > known:
+                depths[stack.pop()[0]].pop()
             spans.append((opened, at))
             closing.add(at)
         elif char == '"':
             if not after.isspace():
-                stack.append(('"', at))
+                push('"', at)
         elif char == "»" and not after.isspace() and (before.isspace() or before in "([:"):
-            stack.append(("«", at))
+            push("«", at)
         elif char in QUOTES and not (char == "‘" and _LETTER.match(before)):
-            stack.append((QUOTES[char], at))
+            push(QUOTES[char], at)
     outer: list[tuple[int, int]] = []
     for opened, closed in sorted(spans):
         if not outer or opened > outer[-1][1]:
@@ -206,18 +290,18 @@ def _pairs(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], set[
     return outer, closing
 
 
-def _ends(text: str, start: int, end: int, term: int, at: int) -> bool:
-    """Whether the rules let a sentence end at `at`, after marks that begin at `term`."""
-    near = _SCRIPTS.search(text, start, term) or _SCRIPTS.search(text, term, end)
-    rules = _compiled(near.lastgroup if near else "latin")
-    low = at - LOOK_BACK
-    left = text[start:at] if low <= start else "\0" + text[low:at]
-    if not left.isascii():
-        left = normalize("NFC", left)  # abbreviations may be stored with combining marks
-    for ends, before, after in rules:
-        if after.match(text, at, end) and before.search(left):
-            return ends
-    return False
+def _ends(text: str, start: int, end: int, at: int, script: str, language: _Language) -> bool:
+    """Whether the rules let a sentence end at `at`."""
+    if at - start <= 8 and _ENUMERATOR.fullmatch(text, start, at) and _ENUMERATED.match(text, at, end):
+        return False
+    pattern, says = _compiled(script, None)
+    found = pattern.match(text, at, end)
+    if found and says[found.lastindex - 1][1]:  # an abbreviation of some language: is it one of this?
+        lang = language.name(at)
+        if lang is not None:
+            pattern, says = _compiled(script, lang)
+            found = pattern.match(text, at, end)
+    return bool(found) and says[found.lastindex - 1][0]
 
 
 def _paragraph(text: str, start: int, end: int) -> Iterator[int]:
@@ -226,7 +310,8 @@ def _paragraph(text: str, start: int, end: int) -> Iterator[int]:
         return
     outer, closing = _pairs(text, start, end)
     opened = [o for o, _ in outer]
-    done = start
+    done, script, seen = start, "", start
+    language = _Language(text, start, end)
     for found in _CANDIDATE.finditer(text, start, end):
         term, at = found.span()
         if term < done:
@@ -248,7 +333,16 @@ def _paragraph(text: str, start: int, end: int) -> Iterator[int]:
         if k >= 0 and outer[k][1] >= at:
             continue
         done = at
-        if at < end and _ends(text, start, end, term, at):
+        if at == end:
+            continue
+        near = _SCRIPTS.search(text, seen, term)  # the last letter before; where there is none, the one known from before
+        if near:
+            script = near.lastgroup
+        elif not script and (near := _SCRIPTS_FORWARD.search(text, term, end)):
+            script = near.lastgroup
+        seen = term
+        if _ends(text, start, end, at, script or "latin", language):
+            language.begin(at)
             yield at
 
 
@@ -296,15 +390,15 @@ def sentences(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataF
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, sent_no int, start_char int, end_char int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sentence_spans(x) for x in batch.column(1).to_pylist()]
+        for part in (piece for batch in batches for piece in slices(batch, 1)):
+            found = [sentence_spans(x) for x in part.column(1).to_pylist()]
             counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
             flat = np.array([s for spans in found for s in spans], dtype=np.int32).reshape(-1, 2)
             rows = np.repeat(np.arange(len(found)), counts)
             first = np.cumsum(counts) - counts
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(rows)),
+                    part.column(0).take(pa.array(rows)),
                     pa.array((np.arange(len(rows)) - first[rows]).astype(np.int32)),
                     pa.array(flat[:, 0]),
                     pa.array(flat[:, 1]),
