@@ -7,6 +7,7 @@ sizes point most nearly along the space that is left. A block leaves at most its
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from typing import Any
 
 import numpy as np
@@ -20,8 +21,8 @@ from quirespark.session import cut
 BLOCK_ITEMS = 20_000
 #: Containers that may be asked for at once; the table of limits is the only thing the driver gathers.
 MOST_LIMITS = 1_000
-#: Tokens of capacity for which a container may hold one segment more, where no limit of segments is given.
-TOKENS_A_SEGMENT = 8
+#: The limit of a dimension for which none is given; no container reaches it.
+NO_LIMIT = 2**62
 
 OUT = "limit_id int, container bigint, slot int, {key} {kind}, part_no int, start_token bigint, n_tokens bigint, n_segments bigint, n_loss bigint"
 
@@ -31,13 +32,20 @@ def dot_product_packing(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
 
     One container is open at a time. The score of an item is the dot product of its sizes and the space left, both
     relative to the limits, with each dimension weighted by its share of the total demand; equal scores go to the larger
-    item, then to the earlier one in the order of sizes.
+    item, then to the earlier one in the order of sizes. Dimensions of which all items together fit one container don't count.
     """
     container = np.zeros(len(sizes), dtype=np.int64)
     if not len(sizes):
         return container
     if (sizes > limits).any():
         raise ValueError(f"an item of {sizes[(sizes > limits).any(axis=1)][0].tolist()} exceeds the limits {list(map(int, limits))} of an empty container")
+    counted = [d for d in range(sizes.shape[1]) if float(sizes[:, d].sum(dtype=float)) > limits[d]]
+    sizes, limits = sizes[:, counted], limits[counted]
+    if not counted:
+        return container
+    first = sizes[:, 0].astype(object) if len(counted) > 1 else None
+    if len(counted) == 1 or all((first * int(limits[d]) == sizes[:, d].astype(object) * int(limits[0])).all() for d in range(1, len(counted))):
+        return _largest_first(sizes[:, 0], int(limits[0]))
     distinct, inverse, counts = np.unique(sizes, axis=0, return_inverse=True, return_counts=True)
     members = np.argsort(inverse.ravel(), kind="stable")
     taken = np.concatenate([[0], np.cumsum(counts)[:-1]])
@@ -68,6 +76,35 @@ def dot_product_packing(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return container
 
 
+def _largest_first(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The same packing where all dimensions are one: the open container takes the largest item that fits."""
+    distinct, inverse, counts = np.unique(sizes, return_inverse=True, return_counts=True)
+    members = np.argsort(inverse, kind="stable")
+    taken = (np.cumsum(counts) - counts).tolist()
+    left, values, members = counts.tolist(), distinct.tolist(), members.tolist()
+    lower = list(range(-1, len(values) - 1))  # the next smaller size, past those that are used up
+    container, number, space = np.zeros(len(sizes), dtype=np.int64), 0, capacity
+    for _ in range(len(sizes)):
+        at = bisect_right(values, space) - 1
+        passed = []
+        while at >= 0 and not left[at]:
+            passed.append(at)
+            at = lower[at]
+        for i in passed:
+            lower[i] = at
+        if at < 0:
+            number, space = number + 1, capacity
+            at = len(values) - 1
+            while not left[at]:
+                at = lower[at]
+            lower[len(values) - 1] = at if at < len(values) - 1 else lower[-1]
+        container[members[taken[at]]] = number
+        taken[at] += 1
+        left[at] -= 1
+        space -= values[at]
+    return container
+
+
 def pack(
     items: DataFrame,
     limits: DataFrame,
@@ -87,7 +124,8 @@ def pack(
     an item. An item without tokens (null, empty) takes a slot but no space. Null sizes count as 0, null keys are items,
     repeated rows are items of their own. An empty table gives no row. Other columns aren't read.
 
-    Blocks are drawn by a hash of the row, so neither a hot key nor the order of the rows makes a large group.
+    Equal items are counted before they are shuffled, and each count is spread over the blocks, so neither a hot key nor the
+    order of the rows makes a large group, and the result doesn't depend on the partitions.
     """
     rows = limits.collect() if limits.limit(MOST_LIMITS + 1).count() <= MOST_LIMITS else None
     if rows is None:
@@ -107,16 +145,17 @@ def pack(
         if r["capacity_tokens"] is None:
             raise ValueError(f"limit {r['limit_id']} has no capacity")
         capacity = int(r["capacity_tokens"])
-        most = np.array([capacity, int(r.get("max_segments") or max(8, capacity // TOKENS_A_SEGMENT)), int(r.get("max_loss") or capacity)])
+        most = np.array([capacity, int(r.get("max_segments") or NO_LIMIT), int(r.get("max_loss") or capacity)])
         known[int(r["limit_id"])] = most
-        asked.append(F.struct(F.lit(int(r["limit_id"])).alias("id"), *[F.lit(int(x)).alias(n) for x, n in zip(most, ("c", "s", "l"), strict=True)]))
+        asked.append(F.struct(F.lit(int(r["limit_id"])).alias("id"), *[F.lit(int(x)).cast("bigint").alias(n) for x, n in zip(most, ("c", "s", "l"), strict=True)]))
     if not asked:
         asked = [F.struct(*[F.lit(1).alias(n) for n in ("id", "c", "s", "l")])]
         base = base.limit(0)
+    base = cut(base.groupBy("key", "tokens", "segments", "loss").agg(F.count("*").alias("copies")))
     each = base.withColumn("limit", F.explode(F.array(*asked)))
     step = F.least(
         F.col("limit.c").cast("bigint"),
-        F.when(F.col("loss") > F.col("limit.l"), F.col("limit.l").cast("bigint")),
+        F.when(F.col("loss") > F.col("limit.l"), F.greatest(F.lit(1), F.floor(F.col("tokens") * F.col("limit.l") / F.col("loss")))),
         F.when(F.col("segments") > F.col("limit.s"), F.greatest(F.lit(1), F.floor(F.col("tokens") * F.col("limit.s") / F.col("segments")))),
     )
     # with fewer tokens than parts, an item is divided by its segments, and so many parts share its tokens
@@ -138,16 +177,20 @@ def pack(
         return F.coalesce(thinly, cut, of)
 
     parts = parts.select(
-        F.col("limit.id").alias("limit_id"), "key", F.col("part_no").cast("int").alias("part_no"), start.alias("start_token"),
+        F.col("limit.id").alias("limit_id"), "key", "copies", F.col("part_no").cast("int").alias("part_no"), start.alias("start_token"),
         (end - start).alias("n_tokens"), F.greatest(share("segments"), F.least(F.col("segments"), F.lit(1))).alias("n_segments"),
-        share("loss").alias("n_loss"), F.xxhash64("key", "part_no", F.monotonically_increasing_id()).alias("salt"),
+        share("loss").alias("n_loss"), F.xxhash64("key", "part_no", "tokens", "segments", "loss").alias("salt"),
     )
-    parts = cut(parts)  # the salt stays what it is if a task is repeated
-    held = {r["limit_id"]: r["n"] for r in parts.groupBy("limit_id").agg(F.count("*").alias("n")).collect()}
-    blocks = F.coalesce(*[F.when(F.col("limit_id") == i, F.lit(-(-n // block_items))) for i, n in held.items()], F.lit(1))
-    salted = parts.withColumn("block", F.pmod("salt", blocks)).drop("salt")
+    held = {r["limit_id"]: r["n"] for r in parts.groupBy("limit_id").agg(F.sum("copies").alias("n")).collect()}
+    blocks = F.coalesce(*[F.when(F.col("limit_id") == i, F.lit(-(-n // block_items)).cast("bigint")) for i, n in held.items()], F.lit(1).cast("bigint"))
+    # of n copies each block gets n // blocks, and as many of the blocks from the salt on one more
+    spread = parts.withColumn("blocks", blocks).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least("copies", "blocks") - 1)))
+    salted = spread.withColumn("block", F.pmod(F.col("salt") + F.col("i"), F.col("blocks"))).withColumn(
+        "copies", F.floor(F.col("copies") / F.col("blocks")) + (F.col("i") < F.col("copies") % F.col("blocks")).cast("bigint")
+    ).drop("salt", "i", "blocks")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.loc[pdf.index.repeat(pdf["copies"])] if (pdf["copies"] != 1).any() else pdf
         pdf = pdf.sort_values(["n_tokens", "key", "part_no"], ascending=[False, True, True], kind="stable", ignore_index=True)
         sizes = pdf[["n_tokens", "n_segments", "n_loss"]].to_numpy(dtype=np.int64)
         pdf["container"] = dot_product_packing(sizes, known[int(pdf["limit_id"].iat[0])]) + (int(pdf["block"].iat[0]) << 32)

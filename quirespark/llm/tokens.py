@@ -8,9 +8,9 @@ transducer together, a byte at a time; words it doesn't hold are merged exactly
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import os
-import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -24,10 +24,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirespark.session import shared_dir
+from quirespark.session import cut, shared_dir
 
 #: Frequent words that are compiled; all others are merged. The bound keeps what the driver holds and ships small.
 LEXICON_WORDS = 100_000
+#: Bytes of the longest word that is compiled, and steps of a doubling by which counts are told apart when words are chosen.
+LEXICON_BYTES, COUNT_STEPS = 256, 8
 #: Characters tokenized together, and words of one text held at once.
 CHUNK_CHARS, CHUNK_WORDS = 1_000_000, 200_000
 _MAGIC = b"QLEX0001"
@@ -313,10 +315,12 @@ def word_counts(df: DataFrame, column: str, pattern: str = WORD_PATTERN) -> Data
 
 
 def write_shared(spark: SparkSession, name: str, content: bytes) -> str:
-    """A file in the shared folder, by whatever file system the folder is in."""
+    """A file in the shared folder, by whatever file system the folder is in; the name tells the content."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return path
     out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
     out.write(bytearray(content))
     out.close()
@@ -328,12 +332,22 @@ def build_lexicon(
 ) -> str:
     """Compiles the most frequent words of df[column] and gives every executor the file; returns its name.
 
-    All texts are counted; the driver gets the max_words most frequent words only (ties by the word).
+    All texts are counted. A histogram of the counts tells from which count on there are max_words words at most; only these
+    are sent to the driver. A corpus with the same frequent words has the same file, which is written once.
     """
     spark = df.sparkSession
-    top = word_counts(df, column, pattern).orderBy(F.desc("n"), "word").limit(max_words).select("word").collect()
+    counted = word_counts(df, column, pattern).where(F.octet_length("word") <= LEXICON_BYTES)
+    step = F.floor(F.log2(F.col("n").cast("double")) * COUNT_STEPS)
+    counted = cut(counted.select("word", step.alias("step")))
+    least, held = None, 0
+    for r in sorted(counted.groupBy("step").count().collect(), reverse=True):  # a step for each count up to 2**63 at most
+        held += r["count"]
+        if held > max_words:
+            break
+        least = r["step"]
+    top = counted.where(F.col("step") >= least).select("word").collect() if least is not None else []
     content = pack_lexicon((r[0] for r in top), read_ranks(vocabulary or vocabulary_path()))
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    name = f"lexicon-{hashlib.sha256(content).hexdigest()[:32]}.bin"
     spark.sparkContext.addFile(write_shared(spark, name, content))
     return name
 
