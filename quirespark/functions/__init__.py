@@ -1 +1 @@
-"""Column functions."""
+"""Column functions: identifiers, paths, links, text, language tags, media types, numbers."""

@@ -1 +1,7 @@
-"""Registered queries and their SQL counterparts."""
+"""Queries by kind, each with SQL where SQL can say the same."""
+
+from quirespark.plans import core_problems, scalars
+
+_MODULES = (core_problems, scalars)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
