@@ -1,7 +1,7 @@
 """Queries by kind, each with SQL where SQL can say the same."""
 
-from quirespark.plans import aggregates, core_problems, documents, scalars
+from quirespark.plans import aggregates, core_problems, documents, packages, scalars
 
-_MODULES = (core_problems, scalars, aggregates, documents)
+_MODULES = (core_problems, scalars, aggregates, documents, packages)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
