@@ -1,8 +1,9 @@
 """The languages of texts and of their stretches.
 
 A text is divided at marks into stretches. The script ranges of its letters name the language of a stretch, or say that it
-is one of those in Latin letters; among these, common words and letters give each language a score, and the most likely
-run of languages through the stretches (Viterbi, a change costs SWITCH) names the language of each.
+is one of those in Latin letters. Among these, common words and letters give each word a score for each language, and the
+most likely run of languages through the words names the language of each (Viterbi; a change costs SWITCH between stretches
+and SWITCH_INSIDE within one).
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from quirespark.llm.garbled import is_garbled
 
 LATIN_LANGS = ("en", "pt", "es", "fr", "de")
-#: Cost of a change of language between stretches, and score from which a stretch alone names one.
-SWITCH, ENOUGH = 0.7, 0.7
+#: Cost of a change of language between stretches and within one, and score from which a stretch alone names one.
+SWITCH, SWITCH_INSIDE, ENOUGH = 0.7, 4.0, 0.7
+_CONSONANTS = frozenset("bcdfghjklmnpqrstvwxz")
 
 # Common words by language, and other codes and names of languages.
 COMMON = {
@@ -79,11 +81,55 @@ def word_scores(text: str, start: int, end: int) -> list[float]:
 
 
 class _Stretch:
-    __slots__ = ("start", "end", "latin", "scores", "counts", "ended")
+    __slots__ = ("start", "end", "latin", "scores", "counts", "ended", "words")
 
     def __init__(self) -> None:
         self.start = self.end = -1
         self.latin, self.scores, self.counts, self.ended = 0, [0.0] * len(LATIN_LANGS), {}, False
+        self.words: list[tuple[int, int, list[tuple[int, float]]]] = []  # those in Latin letters, with what they say
+
+    def add(self, start: int, end: int, says: list[tuple[int, float]]) -> None:
+        """A word in Latin letters."""
+        self.latin += 1
+        self.words.append((start, end, says))
+        for i, weight in says:
+            self.scores[i] += weight
+
+    def rows(self) -> list[list[float]]:
+        """The scores Viterbi goes through: of each word that says something, or of all together where no change within can
+        pay: leaving the best language costs SWITCH_INSIDE, and gains no more than the others have, and the ends' changes."""
+        if sum(self.scores) - max(self.scores) + 2 * SWITCH < SWITCH_INSIDE:
+            return [self.scores]
+        out = []
+        for _, _, says in self.words:
+            if says:
+                row = [0.0] * len(LATIN_LANGS)
+                for i, weight in says:
+                    row[i] += weight
+                out.append(row)
+        return out or [self.scores]
+
+    def parted(self, states: list[int]) -> list[tuple["_Stretch", int]]:
+        """The stretch in parts of one language each."""
+        if len(set(states)) == 1:
+            return [(self, states[0])]
+        parts: list[tuple[_Stretch, int]] = []
+        k = 0
+        for start, end, says in self.words:
+            if says:
+                state, k = states[k], k + 1
+            else:
+                state = parts[-1][1] if parts else states[0]
+            if not parts or parts[-1][1] != state:
+                parts.append((_Stretch(), state))
+                parts[-1][0].start = start
+            part = parts[-1][0]
+            part.end = end
+            part.add(start, end, says)
+            part.counts["latin"] = part.counts.get("latin", 0) + end - start
+        last = parts[-1][0]
+        last.end, last.ended = self.end, self.ended
+        return parts
 
 
 def _stretches(text: str) -> list[_Stretch]:
@@ -101,27 +147,29 @@ def _stretches(text: str) -> list[_Stretch]:
                 out.append(now)
                 now = _Stretch()
             continue
+        if now.start >= 0 and (kind == "th") != ("th" in now.counts):  # Thai has no mark at the end of a sentence
+            out.append(now)
+            now = _Stretch()
         if now.start < 0:
             now.start = found.start()
         now.end = found.end()
         word = found[0]
         if kind == "latin":
-            now.latin += 1
-            for i, weight in _word(word.lower()):
-                now.scores[i] += weight
+            lone = len(word) == 1 and word.lower() in _CONSONANTS  # an initial or the like
+            now.add(found.start(), found.end(), [] if lone else _word(word.lower()))
         now.counts[kind] = now.counts.get(kind, 0) + len(word)
     if now.start >= 0:
         out.append(now)
     return out
 
 
-def _viterbi(rows: list[list[float]]) -> list[int]:
-    """The most likely run of states, where a change costs SWITCH."""
+def _viterbi(rows: list[list[float]], costs: list[float]) -> list[int]:
+    """The most likely run of states, where a change before a row has its cost."""
     best, back = rows[0], []
-    for row in rows[1:]:
+    for row, cost in zip(rows[1:], costs[1:]):
         top = max(range(len(best)), key=best.__getitem__)
-        came = [i if best[i] >= best[top] - SWITCH else top for i in range(len(best))]
-        best = [row[i] + max(best[i], best[top] - SWITCH) for i in range(len(best))]
+        came = [i if best[i] >= best[top] - cost else top for i in range(len(best))]
+        best = [row[i] + max(best[i], best[top] - cost) for i in range(len(best))]
         back.append(came)
     states = [max(range(len(best)), key=best.__getitem__)]
     for came in reversed(back):
@@ -147,11 +195,16 @@ def language_spans(text: str | None) -> list[tuple[int, int, str, float, bool]]:
             sizes["ja" if "kana" in s.counts or short else "zh"] = 3 * east  # a letter says as much as three of an alphabet
         top = max(sizes, key=sizes.get)
         named.append(None if top == "latin" else top)
-    latin = [i for i, name in enumerate(named) if name is None]
-    rows = [stretches[i].scores for i in latin]
+    each = [s.rows() if name is None else [] for s, name in zip(stretches, named)]
+    rows = [row for of in each for row in of]
     if rows:
-        for i, state in zip(latin, _viterbi(rows)):
-            named[i] = LATIN_LANGS[state]
+        states = _viterbi(rows, [SWITCH_INSIDE if k else SWITCH for of in each for k in range(len(of))])
+        parted: list[tuple[_Stretch, str | None]] = []
+        at = 0
+        for s, name, of in zip(stretches, named, each):
+            parted += [(part, LATIN_LANGS[state]) for part, state in s.parted(states[at : at + len(of)])] if of else [(s, name)]
+            at += len(of)
+        stretches, named = [x for x, _ in parted], [x for _, x in parted]
     out: list[tuple[int, int, str, float, bool]] = []
     for i, (s, name) in enumerate(zip(stretches, named)):
         letters = sum(s.counts.values())
