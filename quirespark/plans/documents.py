@@ -208,7 +208,7 @@ QUERIES = {f.__name__: f for f in (flt_findings, tre_index, jon_fallbacks, jon_s
 SQL = {
     "flt_findings": FLT_FINDINGS, "tre_index": TRE_INDEX, "jon_fallbacks": JON_FALLBACKS, "jon_spine": JON_SPINE, "jon_places": JON_PLACES, "lay_profiles": LAY_PROFILES,
     "css_styles": f"SELECT * FROM (VALUES {_listed(*STYLES)}) AS t(doc_id, node_id, property, value)",
-    "css_typed": f"SELECT * FROM (VALUES {_listed(*TYPED)}) AS t(doc_id, node_id, font_family, size, size_unit, font_weight, font_style, line_height, spacing_unit, text_align, text_transform, text_decoration, indent_unit, before, after)",
+    "css_typed": f"SELECT * REPLACE (CAST(font_family AS VARCHAR) AS font_family) FROM (VALUES {_listed(*TYPED)}) AS t(doc_id, node_id, font_family, size, size_unit, font_weight, font_style, line_height, spacing_unit, text_align, text_transform, text_decoration, indent_unit, before, after)",
     "css_values": f"SELECT * FROM (VALUES {_listed(*CSS_VALUES)}) AS t(text, number, unit, weight, line)",
     "lay_cascade": f"SELECT * FROM (VALUES {_listed(*CASCADE)}) AS t(doc_id, role, font_family, size, font_weight, line, after, before)",
 }

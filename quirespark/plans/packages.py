@@ -78,10 +78,11 @@ def met_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.refinements(p.package_elements(p.entries(_files(spark)))).where("is_orphan").select("pub_id", "target", "property", "value")
 
 
+_BIG = {"src_entries": " REPLACE (CAST(len AS BIGINT) AS len)", "met_read": " REPLACE (CAST(n_dates AS BIGINT) AS n_dates, CAST(n_bad_dates AS BIGINT) AS n_bad_dates)"}
 _OPF_LEN = len(_OPF.encode())
 QUERIES = {f.__name__: f for f in (src_entries, src_paths, src_manifest, src_spine, met_titles, met_read, met_orphans)}
 SQL = {
-    name: f"SELECT * FROM (VALUES {_listed(*rows)}) AS t({columns})"
+    name: f"SELECT *{_BIG.get(name, '')} FROM (VALUES {_listed(*rows)}) AS t({columns})"
     for name, columns, rows in (
         ("src_entries", "pub_id, ordinal, path, len, problem", [
             ("good", 0, "mimetype", 20, None), ("good", 1, p.CONTAINER, len(_CONTAINER), None), ("good", 2, "OEBPS/content.opf", _OPF_LEN, None), ("good", 3, "OEBPS/nav.xhtml", 7, None), ("good", 4, "OEBPS/text/c 1.xhtml", 7, None), ("good", 5, "OEBPS/x.bin", 1, None),

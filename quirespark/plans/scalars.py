@@ -20,7 +20,9 @@ def _listed(*rows: tuple) -> str:
             return "NULL"
         if isinstance(value, bool):
             return "true" if value else "false"
-        return str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
+        if isinstance(value, float):
+            return f"CAST({value} AS DOUBLE)"
+        return str(value) if isinstance(value, int) else "'" + str(value).replace("'", "''") + "'"
 
     return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
 
