@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.llm.garbled import is_garbled
+from quirespark.llm.tokens import slices
 
 LATIN_LANGS = ("en", "pt", "es", "fr", "de")
 #: Cost of a change of language between stretches and within one, and score from which a stretch alone names one.
@@ -80,42 +81,60 @@ def word_scores(text: str, start: int, end: int) -> list[float]:
     return scores
 
 
+def _says(word: str) -> list[tuple[int, float]]:
+    """What a word as it is written says; a single consonant is an initial or the like."""
+    found = _SAID.get(word)
+    if found is None:
+        if len(_SAID) > 200_000:
+            _SAID.clear()
+        found = _SAID[word] = [] if len(word) == 1 and word.lower() in _CONSONANTS else _word(word.lower())
+    return found
+
+
+_SAID: dict[str, list[tuple[int, float]]] = {}
+
+
 class _Stretch:
-    __slots__ = ("start", "end", "latin", "scores", "counts", "ended", "words")
+    __slots__ = ("start", "end", "latin", "scores", "counts", "ended", "said")
 
     def __init__(self) -> None:
         self.start = self.end = -1
         self.latin, self.scores, self.counts, self.ended = 0, [0.0] * len(LATIN_LANGS), {}, False
-        self.words: list[tuple[int, int, list[tuple[int, float]]]] = []  # those in Latin letters, with what they say
+        self.said: list[list[tuple[int, float]]] = []  # by the words that say something
 
-    def add(self, start: int, end: int, says: list[tuple[int, float]]) -> None:
-        """A word in Latin letters."""
-        self.latin += 1
-        self.words.append((start, end, says))
-        for i, weight in says:
-            self.scores[i] += weight
+    def words(self, text: str) -> Iterator[tuple[int, int, list[tuple[int, float]]]]:
+        """The words in Latin letters, with what they say."""
+        for found in _TOKEN.finditer(text, self.start, self.end):
+            if found.lastgroup == "latin":
+                yield found.start(), found.end(), _says(found[0])
 
     def rows(self) -> list[list[float]]:
         """The scores Viterbi goes through: of each word that says something, or of all together where no change within can
-        pay: leaving the best language costs SWITCH_INSIDE, and gains no more than the others have, and the ends' changes."""
-        if sum(self.scores) - max(self.scores) + 2 * SWITCH < SWITCH_INSIDE:
-            return [self.scores]
-        out = []
-        for _, _, says in self.words:
-            if says:
-                row = [0.0] * len(LATIN_LANGS)
+        pay: leaving the best language costs SWITCH_INSIDE and perhaps the ends' changes, and gains no more than other
+        languages have above it."""
+        best = max(self.scores)
+        if sum(self.scores) - best + 2 * SWITCH >= SWITCH_INSIDE:
+            top, gain = self.scores.index(best), 0.0
+            for says in self.said:
+                own = most = 0.0
                 for i, weight in says:
-                    row[i] += weight
-                out.append(row)
-        return out or [self.scores]
-
-    def parted(self, states: list[int]) -> list[tuple["_Stretch", int]]:
+                    if i == top:
+                        own += weight
+                    elif weight > most:
+                        most = weight
+                if most > own:
+                    gain += sum(weight for i, weight in says if i != top) - own
+            if gain + 2 * SWITCH >= SWITCH_INSIDE:
+                return [[sum(weight for j, weight in says if j == i) for i in range(len(LATIN_LANGS))] for says in self.said]
+        return [self.scores]
+
+    def parted(self, text: str, states: list[int]) -> list[tuple["_Stretch", int]]:
         """The stretch in parts of one language each."""
         if len(set(states)) == 1:
             return [(self, states[0])]
         parts: list[tuple[_Stretch, int]] = []
         k = 0
-        for start, end, says in self.words:
+        for start, end, says in self.words(text):
             if says:
                 state, k = states[k], k + 1
             else:
@@ -125,7 +144,9 @@ class _Stretch:
                 parts[-1][0].start = start
             part = parts[-1][0]
             part.end = end
-            part.add(start, end, says)
+            part.latin += 1
+            for i, weight in says:
+                part.scores[i] += weight
             part.counts["latin"] = part.counts.get("latin", 0) + end - start
         last = parts[-1][0]
         last.end, last.ended = self.end, self.ended
@@ -134,32 +155,50 @@ class _Stretch:
 
 def _stretches(text: str) -> list[_Stretch]:
     out: list[_Stretch] = []
-    now = _Stretch()
+    now, counts, scores = _Stretch(), {}, [0.0] * len(LATIN_LANGS)
+
+    def close() -> None:
+        nonlocal now, counts, scores
+        now.counts, now.scores = counts, scores
+        out.append(now)
+        now, counts, scores = _Stretch(), {}, [0.0] * len(LATIN_LANGS)
+
     for found in _TOKEN.finditer(text):
         kind = found.lastgroup
-        if kind == "skip":
+        if kind == "latin":
+            if "th" in counts:
+                close()
+            start, end = found.span()
+            if now.start < 0:
+                now.start = start
+            now.end = end
+            now.latin += 1
+            word = found[0]
+            says = _SAID.get(word)
+            if says is None:
+                says = _says(word)
+            if says:
+                now.said.append(says)
+                for i, weight in says:
+                    scores[i] += weight
+            counts["latin"] = counts.get("latin", 0) + end - start
+        elif kind == "skip":
             continue
-        if kind in ("end", "edge"):
+        elif kind in ("end", "edge"):
             if now.start >= 0:
-                now.ended = kind == "end"
                 if kind == "end":
-                    now.end = found.end()
-                out.append(now)
-                now = _Stretch()
-            continue
-        if now.start >= 0 and (kind == "th") != ("th" in now.counts):  # Thai has no mark at the end of a sentence
-            out.append(now)
-            now = _Stretch()
-        if now.start < 0:
-            now.start = found.start()
-        now.end = found.end()
-        word = found[0]
-        if kind == "latin":
-            lone = len(word) == 1 and word.lower() in _CONSONANTS  # an initial or the like
-            now.add(found.start(), found.end(), [] if lone else _word(word.lower()))
-        now.counts[kind] = now.counts.get(kind, 0) + len(word)
+                    now.ended, now.end = True, found.end()
+                close()
+        else:
+            if counts and (kind == "th") != ("th" in counts):  # Thai has no mark at the end of a sentence
+                close()
+            start, end = found.span()
+            if now.start < 0:
+                now.start = start
+            now.end = end
+            counts[kind] = counts.get(kind, 0) + end - start
     if now.start >= 0:
-        out.append(now)
+        close()
     return out
 
 
@@ -202,7 +241,7 @@ def language_spans(text: str | None) -> list[tuple[int, int, str, float, bool]]:
         parted: list[tuple[_Stretch, str | None]] = []
         at = 0
         for s, name, of in zip(stretches, named, each):
-            parted += [(part, LATIN_LANGS[state]) for part, state in s.parted(states[at : at + len(of)])] if of else [(s, name)]
+            parted += [(part, LATIN_LANGS[state]) for part, state in s.parted(text, states[at : at + len(of)])] if of else [(s, name)]
             at += len(of)
         stretches, named = [x for x, _ in parted], [x for _, x in parted]
     out: list[tuple[int, int, str, float, bool]] = []
@@ -250,16 +289,26 @@ def label_language(label: str | None, names: dict[str, str]) -> str | None:
     return names.get(clean) or names.get(first)
 
 
-def detected(df: DataFrame, key: str, column: str, keep: tuple[str, ...] = (), skip_garbled: bool = False) -> DataFrame:
-    """key, the kept columns, langs ARRAY<STRING>: the languages of df[column]; repeated rows each for itself, no shuffle."""
+def detected(df: DataFrame, key: str, column: str, keep: tuple[str, ...] = (), garbled_under: tuple[str, dict[str, str]] | None = None) -> DataFrame:
+    """key, the kept columns, langs ARRAY<STRING>: the languages of df[column]; repeated rows each for itself, no shuffle.
+
+    garbled_under: a kept column of labels and their names. A garbled text has no language then; texts that are of the one
+    language their label names aren't looked at for it, as they are no case either way.
+    """
     columns = [key, *keep]
     kept = df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{column}`").cast("string").alias("__text"))
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = [[] if skip_garbled and is_garbled(x) else text_languages(x) for x in batch.column(len(columns)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, type=pa.list_(pa.string()))], names=[*columns, "langs"])
+            for part in slices(batch, len(columns)):
+                texts = part.column(len(columns)).to_pylist()
+                langs = [text_languages(x) for x in texts]
+                if garbled_under is not None:
+                    label, names = garbled_under
+                    said = [label_language(x, names) for x in part.column(columns.index(label)).to_pylist()]
+                    langs = [[] if found and found != [one] and is_garbled(x) else found for x, found, one in zip(texts, langs, said)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, type=pa.list_(pa.string()))], names=[*columns, "langs"])
 
     return kept.mapInArrow(run, f"{fields}, langs array<string>")
 

@@ -27,7 +27,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = label_names([tuple(r) for r in table(spark, sf_dir, "languages_ref").select("lang", "iso3", "name_en", "name_native").collect()])
     texts = cut(detected(table(spark, sf_dir, "documents"), "doc_id", "text", ("lang", "pub_id")))
-    described = detected(table(spark, sf_dir, "metadata_results"), "record_id", "description", ("language_tag",), skip_garbled=True)
+    described = detected(table(spark, sf_dir, "metadata_results"), "record_id", "description", ("language_tag",), ("language_tag", names))
     return (
         mislabelled(texts, "doc_id", "lang", names, "documents")
         .unionAll(mislabelled(described, "record_id", "language_tag", names, "metadata_results"))
