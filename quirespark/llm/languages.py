@@ -155,49 +155,55 @@ class _Stretch:
 
 def _stretches(text: str) -> list[_Stretch]:
     out: list[_Stretch] = []
-    now, counts, scores = _Stretch(), {}, [0.0] * len(LATIN_LANGS)
-
-    def close() -> None:
-        nonlocal now, counts, scores
-        now.counts, now.scores = counts, scores
+    # what the open stretch holds so far
+    begin, last, words, letters, said, counts = -1, -1, 0, 0, [], {}
+
+    def close(ended: bool = False) -> None:
+        nonlocal begin, words, letters, said, counts
+        now = _Stretch()
+        now.start, now.end, now.latin, now.said, now.counts, now.ended = begin, last, words, said, counts, ended
+        if letters:
+            counts["latin"] = letters
+            scores = now.scores
+            for says in said:
+                for i, weight in says:
+                    scores[i] += weight
         out.append(now)
-        now, counts, scores = _Stretch(), {}, [0.0] * len(LATIN_LANGS)
+        begin, words, letters, said, counts = -1, 0, 0, [], {}
 
     for found in _TOKEN.finditer(text):
         kind = found.lastgroup
         if kind == "latin":
             if "th" in counts:
                 close()
-            start, end = found.span()
-            if now.start < 0:
-                now.start = start
-            now.end = end
-            now.latin += 1
+            start, last = found.span()
+            if begin < 0:
+                begin = start
+            words += 1
+            letters += last - start
             word = found[0]
             says = _SAID.get(word)
             if says is None:
                 says = _says(word)
             if says:
-                now.said.append(says)
-                for i, weight in says:
-                    scores[i] += weight
-            counts["latin"] = counts.get("latin", 0) + end - start
+                said.append(says)
         elif kind == "skip":
             continue
-        elif kind in ("end", "edge"):
-            if now.start >= 0:
-                if kind == "end":
-                    now.ended, now.end = True, found.end()
+        elif kind == "end":
+            if begin >= 0:
+                last = found.end()
+                close(True)
+        elif kind == "edge":
+            if begin >= 0:
                 close()
         else:
-            if counts and (kind == "th") != ("th" in counts):  # Thai has no mark at the end of a sentence
+            if begin >= 0 and (kind == "th") != ("th" in counts):  # Thai has no mark at the end of a sentence
                 close()
-            start, end = found.span()
-            if now.start < 0:
-                now.start = start
-            now.end = end
-            counts[kind] = counts.get(kind, 0) + end - start
-    if now.start >= 0:
+            start, last = found.span()
+            if begin < 0:
+                begin = start
+            counts[kind] = counts.get(kind, 0) + last - start
+    if begin >= 0:
         close()
     return out
 
