@@ -24,10 +24,11 @@ PARENTS: dict[str, tuple[str | None, ...]] = {
     "table-caption": ("table",), "table-head": ("table",), "table-body": ("table",), "table-foot": ("table",), "table-row": ("table-head", "table-body", "table-foot"), "table-cell": ("table-row",), "table-header": ("table-row",),
 }
 TARGETS = ("chapter", "section", "heading")
+CODE_PREFIX = "FLOW_"
 
 
 def _found(df: DataFrame, pass_no: int, code: str, detail: Column, node: str = "node_id") -> DataFrame:
-    return df.select("doc_id", F.lit(pass_no).alias("pass_no"), F.lit(code).alias("code"), c(node).alias("node_id"), detail.cast("string").alias("detail"))
+    return df.select("doc_id", F.lit(pass_no).alias("pass_no"), F.lit(CODE_PREFIX + code).alias("code"), c(node).alias("node_id"), detail.cast("string").alias("detail"))
 
 
 def unique_nodes(nodes: DataFrame) -> DataFrame:
@@ -104,7 +105,7 @@ def contents_rules(entries: DataFrame, index: DataFrame) -> DataFrame:
     heading, or are too deep."""
     known = resolved_anchors(entries, index)
     good = F.coalesce(c("resolved_type").isin(*TARGETS), F.lit(False)) & (c("level") <= c("max_depth"))
-    return _found(known.where(~good), 7, "INVALID_TABLE_OF_CONTENTS_TARGET", F.concat_ws(" at ", c("target"), c("level").cast("string")), "owner_id")
+    return _found(known.where(~good), 7, "INVALID_TOC_TARGET", F.concat_ws(" at ", c("target"), c("level").cast("string")), "owner_id")
 
 
 def header_rules(index: DataFrame) -> DataFrame:

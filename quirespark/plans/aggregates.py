@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.functions import kinds, text
+from quirespark.functions.codes import CODES, diagnostic_codes
 from quirespark.operators.diff import compared_fields, differences
 from quirespark.operators.measures import allocated, measured, normalized_levels, repeated, summary, worst
 from quirespark.operators.ordered import numbered, preceded, running
-from quirespark.plans.core_problems import BASELINE_COUNTS
+from quirespark.plans.core_problems import BASELINE_COUNTS, differences_sql
 from quirespark.session import cut, table
 
 c = F.col
@@ -307,13 +308,24 @@ ORDER BY is_page DESC, n DESC, expected_size_bytes DESC NULLS LAST, title NULLS
 
 
 
+def agg_known_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CODES: the findings of each code there is, with its name and family; codes that aren't known have neither."""
+    found = table(spark, sf_dir, "diagnostics").groupBy(c("code").alias("found")).agg(F.count("*").alias("n_rows"))
+    both = diagnostic_codes(spark).join(found, c("code") == c("found"), "full")
+    return both.select(F.coalesce("code", "found").alias("code"), "name", "family", F.coalesce("n_rows", F.lit(0).cast("bigint")).alias("n_rows"))
+
+
+_CODE_ROWS = ", ".join("('" + line.replace(" ", "', '") + "')" for line in CODES.strip().splitlines())
+AGG_KNOWN_CODES = f"""SELECT coalesce(k.code, d.code) AS code, name, CASE WHEN k.code IS NOT NULL THEN regexp_extract(k.code, '^([A-Z]+)', 1) END AS family, coalesce(n, 0) AS n_rows
+FROM (VALUES {_CODE_ROWS}) AS k(code, name) FULL JOIN (SELECT code, count(*) AS n FROM diagnostics GROUP BY 1) d ON d.code = k.code"""
+
 QUERIES = {f.__name__: f for f in (
     agg_codes, agg_findings, agg_severities, agg_resources, agg_inventory, agg_repeated, agg_places, agg_first, agg_endings, agg_characters, agg_statuses, agg_phases, agg_measures, agg_summary,
-    win_allocated, win_levels, win_occurrences, win_budget, win_chapters, win_sequences, win_runs, jon_baseline, set_codes, srt_top,
+    win_allocated, win_levels, win_occurrences, win_budget, win_chapters, win_sequences, win_runs, jon_baseline, set_codes, srt_top, agg_known_codes,
 )}
 SQL = {
     "agg_codes": AGG_CODES, "agg_findings": AGG_FINDINGS, "agg_severities": AGG_SEVERITIES, "agg_resources": AGG_RESOURCES, "agg_inventory": AGG_INVENTORY, "agg_repeated": AGG_REPEATED, "agg_places": AGG_PLACES,
     "agg_first": AGG_FIRST, "agg_endings": AGG_ENDINGS, "agg_characters": AGG_CHARACTERS, "agg_statuses": AGG_STATUSES, "agg_phases": AGG_PHASES, "agg_measures": AGG_MEASURES, "agg_summary": AGG_SUMMARY,
     "win_allocated": WIN_ALLOCATED, "win_levels": WIN_LEVELS, "win_occurrences": WIN_OCCURRENCES, "win_budget": WIN_BUDGET, "win_chapters": WIN_CHAPTERS, "win_sequences": WIN_SEQUENCES, "win_runs": WIN_RUNS,
-    "set_codes": SET_CODES, "srt_top": SRT_TOP,
+    "jon_baseline": differences_sql(values=True), "set_codes": SET_CODES, "srt_top": SRT_TOP, "agg_known_codes": AGG_KNOWN_CODES,
 }

@@ -37,7 +37,7 @@ FINDINGS = [
     ("bad", 1, "INVALID_COVER_FIGURE", "p1", "p1"), ("bad", 2, "INVALID_NODE_ID", "Bad Id", "Bad Id"), ("bad", 2, "DUPLICATE_NODE_ID", "twice", "2"), ("bad", 3, "INVALID_HIERARCHY", "c2", "chapter in chapter"),
     ("bad", 3, "INVALID_HIERARCHY", "li", "list-item in chapter"), ("bad", 3, "INVALID_HIERARCHY", "n2", "footnote in footnote"), ("bad", 4, "INVALID_HEADING_LEVEL", "h3", "1 to 3"), ("bad", 4, "INVALID_HEADING_LEVEL", "h9", "9"),
     ("bad", 5, "MISSING_FIGURE_ASSET", "f1", "gone.png"), ("bad", 6, "INVALID_ANCHOR", "twice", "flow:Not/An/Anchor"), ("bad", 6, "UNRESOLVED_ANCHOR", "twice", "flow:twice"), ("bad", 6, "UNRESOLVED_FOOTNOTE_REFERENCE", "twice", "h1"),
-    ("bad", 7, "INVALID_TABLE_OF_CONTENTS_TARGET", "toc", "flow:f1 at 1"), ("bad", 7, "INVALID_TABLE_OF_CONTENTS_TARGET", "toc", "flow:h1 at 3"), ("bad", 7, "INVALID_TABLE_OF_CONTENTS_TARGET", "toc", "flow:none at 1"),
+    ("bad", 7, "INVALID_TOC_TARGET", "toc", "flow:f1 at 1"), ("bad", 7, "INVALID_TOC_TARGET", "toc", "flow:h1 at 3"), ("bad", 7, "INVALID_TOC_TARGET", "toc", "flow:none at 1"),
     ("bad", 8, "UNRESOLVED_TABLE_HEADER_REFERENCE", "td1", "h1"), ("bad", 8, "UNRESOLVED_TABLE_HEADER_REFERENCE", "td1", "th2"), ("bad", 9, "INVALID_LANGUAGE_TAG", "twice", "not a tag"), ("bad", 9, "INVALID_BIDIRECTIONAL_STRUCTURE", "twice", "auto"),
     ("bad", 9, "INVALID_RUBY_STRUCTURE", "twice", "ruby"), ("bad", 9, "INVALID_RUBY_STRUCTURE", "twice", "ruby"), ("bad", 9, "INVALID_RUBY_STRUCTURE", "twice", "ruby-annotation"),
 ]
@@ -55,7 +55,7 @@ def flt_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validated(_nodes(spark), inlines, assets, covers, spark.createDataFrame(ENTRIES, "doc_id string, owner_id string, target string, level int, max_depth int"))
 
 
-FLT_FINDINGS = f"SELECT * FROM (VALUES {_listed(*FINDINGS)}) AS t(doc_id, pass_no, code, node_id, detail)"
+FLT_FINDINGS = f"SELECT * REPLACE ('FLOW_' || code AS code) FROM (VALUES {_listed(*FINDINGS)}) AS t(doc_id, pass_no, code, node_id, detail)"
 
 
 def tre_index(spark: SparkSession, sf_dir: str) -> DataFrame:
