@@ -327,5 +327,5 @@ SQL = {
     "agg_codes": AGG_CODES, "agg_findings": AGG_FINDINGS, "agg_severities": AGG_SEVERITIES, "agg_resources": AGG_RESOURCES, "agg_inventory": AGG_INVENTORY, "agg_repeated": AGG_REPEATED, "agg_places": AGG_PLACES,
     "agg_first": AGG_FIRST, "agg_endings": AGG_ENDINGS, "agg_characters": AGG_CHARACTERS, "agg_statuses": AGG_STATUSES, "agg_phases": AGG_PHASES, "agg_measures": AGG_MEASURES, "agg_summary": AGG_SUMMARY,
     "win_allocated": WIN_ALLOCATED, "win_levels": WIN_LEVELS, "win_occurrences": WIN_OCCURRENCES, "win_budget": WIN_BUDGET, "win_chapters": WIN_CHAPTERS, "win_sequences": WIN_SEQUENCES, "win_runs": WIN_RUNS,
-    "jon_baseline": differences_sql(values=True), "set_codes": SET_CODES, "srt_top": SRT_TOP, "agg_known_codes": AGG_KNOWN_CODES,
+    "jon_baseline": differences_sql(both_values=True), "set_codes": SET_CODES, "srt_top": SRT_TOP, "agg_known_codes": AGG_KNOWN_CODES,
 }

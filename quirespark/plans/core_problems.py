@@ -28,7 +28,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return differences(left, right, "pub_id", "captured_at", fields)
 
 
-def differences_sql(values: bool = False) -> str:
+def differences_sql(both_values: bool = False) -> str:
     fields = ["status", "epub_version", *BASELINE_COUNTS, "document_id", "canonical_hash"]
 
     def value(name: str) -> str:
@@ -42,11 +42,11 @@ def differences_sql(values: bool = False) -> str:
     order = ", ".join(["captured_at DESC", *[f"{value(f)} DESC NULLS LAST" for f in fields]])
     side = "SELECT lower(trim(pub_id)) AS k, {values} FROM baseline_{side} QUALIFY row_number() OVER (PARTITION BY lower(trim(pub_id)) ORDER BY {order}) = 1"
     values = ", ".join(f"{value(f)} AS {f}" for f in fields)
-    none = ", CAST(NULL AS VARCHAR) AS left_value, CAST(NULL AS VARCHAR) AS right_value" if values else ""
+    none = ", CAST(NULL AS VARCHAR) AS left_value, CAST(NULL AS VARCHAR) AS right_value" if both_values else ""
 
     def both(name: str) -> str:
         one = [f"CAST(CAST({s}.{name} AS BIGINT) AS VARCHAR)" if name in BASELINE_COUNTS else f"{s}.{name}" for s in "lr"]
-        return f", {one[0]} AS left_value, {one[1]} AS right_value" if values else ""
+        return f", {one[0]} AS left_value, {one[1]} AS right_value" if both_values else ""
 
     rows = [
         f"SELECT coalesce(l.k, r.k) AS pub_id, CASE WHEN r.k IS NULL THEN 'left_only' ELSE 'right_only' END AS diff_kind, '' AS field_name{none} FROM l FULL JOIN r ON l.k = r.k WHERE l.k IS NULL OR r.k IS NULL"
