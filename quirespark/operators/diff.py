@@ -1,9 +1,9 @@
 """Differences between two copies of a table.
 
-Both copies are brought to one notation, and of each key the row that counts is told by its version and two checksums of
-its fields; only these are shuffled. The space of 64-bit key hashes is cut into ranges, each with a checksum per copy.
-Checksums of wide ranges are folded from those of narrow ones, and the comparison descends from the widest ranges into
-those that differ only. Fields are read again, joined and compared in the ranges that still differ at the narrowest level.
+Both copies are brought to one notation, and of each key the row that counts is told by its version and a checksum of its
+fields; only these are shuffled. The space of 64-bit key hashes is cut into ranges, each with checksums per copy. The
+comparison begins with the widest ranges and goes on inside those that differ only, each of which is cut into narrower
+ones. Fields are read again, joined and compared in the ranges that still differ at the narrowest level.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from quirespark.session import cut
 #: Rows expected in one range of the narrowest level, and bits by which a level is narrower than the one above it.
 LEAF_ROWS, LEVEL_BITS = 1, 4
 _HIGHEST_BITS = 60
+#: Bits up to which the differing ranges of a level are sent to all tasks: 2 ** 16 numbers of eight bytes at most.
+BROADCAST_BITS = 16
 
 
 def blank_to_null(column: Column) -> Column:
@@ -115,7 +117,7 @@ def differences(
 
     key: the column that names a row in both copies; compared without regard to case and outer blanks.
     version: of the rows of one key in a copy, the one with the greatest version counts. A null version is the least; rows
-    of equal version are ordered by checksums of their fields, so the choice doesn't depend on the row order.
+    of equal version are ordered by the checksum of their fields, so the choice doesn't depend on the row order.
     fields: the compared columns and their notation: "count", "digest" or "text".
 
     diff_kind is left_only or right_only (field_name '') for a key that one copy has, else differs, with a row for each
@@ -137,25 +139,19 @@ def differences(
                 "side",
                 F.struct(
                     "version",
-                    F.xxhash64(*marked).alias("sum_a"),
-                    F.xxhash64(F.lit("b"), *marked).alias("sum_b"),
+                    F.xxhash64(*marked).alias("sum"),
                     F.struct(*[F.col(f"`{n}`") for n in names]).alias("fields"),
                 ).alias("row"),
                 _place(F.col("key")).alias("place"),
             )
         )
     each = sides[0].unionByName(sides[1])
-    least = F.struct("row.version", "row.sum_a", "row.sum_b")
-    latest = each.groupBy("key", "side").agg(F.max(least).alias("row"))
-    own = [F.coalesce(F.col("key"), F.lit("")), F.col("key").isNull()]
-    rows = latest.select(
-        "side",
-        _place(F.col("key")).alias("place"),
-        F.xxhash64(*own, "row.sum_a").alias("sum_a"),
-        F.xxhash64(F.lit("b"), *own, "row.sum_b").alias("sum_b"),
-    )
+    latest = each.groupBy("key", "side").agg(F.max(F.struct("row.version", "row.sum")).alias("row"))
+    own = [F.coalesce(F.col("key"), F.lit("")), F.col("key").isNull(), F.col("row.sum")]
+    # two independent sums, as equal ones would cancel out in a range
+    rows = cut(latest.select("side", _place(F.col("key")).alias("place"), F.xxhash64(*own).alias("sum_a"), F.xxhash64(F.lit("b"), *own).alias("sum_b")))
     suspects, bits = _differing_ranges(rows, max(left.count(), right.count()), leaf_rows)
-    narrowed = each.withColumn("span", _span(F.col("place"), bits)).join(suspects, "span", "left_semi")
+    narrowed = each.withColumn("span", _span(F.col("place"), bits)).join(_sent(suspects, bits), "span", "left_semi")
     # both copies of a key meet in one partial aggregation
     pairs = narrowed.groupBy("key").agg(
         F.max(F.when(F.col("side") == "l", F.col("row"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("row"))).alias("r")
@@ -184,31 +180,24 @@ def _span(place: Column, bits: int) -> Column:
     return F.shiftrightunsigned(place, 64 - bits)
 
 
+def _sent(ranges: DataFrame, bits: int) -> DataFrame:
+    """Ranges of a level, to be broadcast where they can't be many."""
+    return F.broadcast(ranges) if bits <= BROADCAST_BITS else ranges
+
+
 def _differing_ranges(rows: DataFrame, each: int, leaf_rows: int) -> tuple[DataFrame, int]:
     """The narrowest ranges whose checksums differ (column span), and their bits; each: the rows a copy has at most."""
     levels = max(1, math.ceil(math.log2(max(2.0, each / leaf_rows)) / LEVEL_BITS))
     bits = min(_HIGHEST_BITS, levels * LEVEL_BITS)
-    on_left = F.col("side") == "l"
-    sums = [
-        F.bit_xor(F.when(on_left if side == "l" else ~on_left, F.col(f"sum_{c}")).otherwise(F.lit(0).cast("long"))).alias(f"{side}_{c}")
-        for side in "lr"
-        for c in "ab"
-    ]
-    held = [F.sum(F.when(on_left if side == "l" else ~on_left, 1).otherwise(0)).alias(f"{side}_n") for side in "lr"]
-    leaves = cut(rows.groupBy(_span(F.col("place"), bits).alias("span")).agg(*sums, *held))
+    # the sums of the copies are equal when both together come to nothing
+    sums = [F.bit_xor("sum_a").alias("a"), F.bit_xor("sum_b").alias("b"), F.sum(F.when(F.col("side") == "l", 1).otherwise(-1)).alias("n")]
     differing: DataFrame | None = None
     for level in range(LEVEL_BITS, bits + 1, LEVEL_BITS):
-        at = leaves
-        if differing is not None:  # only ranges inside a range that differed one level above
-            parent = F.shiftrightunsigned(F.col("span"), bits - level + LEVEL_BITS)
-            at = leaves.withColumn("parent", parent).join(differing.withColumnRenamed("span", "parent"), "parent", "left_semi")
-        folded = at.groupBy(F.shiftrightunsigned(F.col("span"), bits - level).alias("span")).agg(
-            *[F.bit_xor(f"{side}_{c}").alias(f"{side}_{c}") for side in "lr" for c in "ab"],
-            *[F.sum(f"{side}_n").alias(f"{side}_n") for side in "lr"],
-        )
-        differing = folded.where(
-            (F.col("l_a") != F.col("r_a")) | (F.col("l_b") != F.col("r_b")) | (F.col("l_n") != F.col("r_n"))
-        ).select("span")
+        at = rows
+        if differing is not None:  # only what lies inside a range that differed one level above
+            at = rows.withColumn("span", _span(F.col("place"), level - LEVEL_BITS)).join(_sent(differing, level - LEVEL_BITS), "span", "left_semi")
+        folded = at.groupBy(_span(F.col("place"), level).alias("span")).agg(*sums)
+        differing = folded.where("a <> 0 OR b <> 0 OR n <> 0").select("span")
     assert differing is not None
     return differing, bits
 
