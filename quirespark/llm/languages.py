@@ -210,6 +210,17 @@ def _stretches(text: str) -> list[_Stretch]:
 
 def _viterbi(rows: list[list[float]], costs: list[float]) -> list[int]:
     """The most likely run of states, where a change before a row has its cost."""
+    # a state that is nowhere below another is the best throughout
+    for first in rows:
+        top = max(first)
+        if top > 0:
+            state = first.index(top)
+            for row in rows:
+                if row[state] < max(row):
+                    break
+            else:
+                return [state] * len(rows)
+            break
     best, back = rows[0], []
     for row, cost in zip(rows[1:], costs[1:]):
         top = max(range(len(best)), key=best.__getitem__)
