@@ -93,12 +93,13 @@ def chained() -> dict[str, list[tuple[str, str, str]]]:
     for letters, encodings in LEGACY.items():
         for pair, true, wrong in product(map("".join, product(letters, letters)), encodings, READ_BY[:5]):
             lay(pair, true, wrong)
+    letters_of = {wrong: [_read(bytes([x]), wrong) for x in range(256)] for wrong in READ_BY[:2]}
     for true in LEGACY_DOUBLE:
         for lead, trail in product(range(0x81, 0xFF), range(0x40, 0xFF)):
-            char = bytes([lead, trail]).decode(true, "ignore")
+            char = bytes((lead, trail)).decode(true, "ignore")
             if len(char) == 1 and ("\u3000" <= char <= "\u30ff" or "\u4e00" <= char <= "\u9fff" or "\uac00" <= char <= "\ud7a3" or "\uff00" <= char <= "\uff5e"):
-                for wrong in READ_BY[:2]:
-                    lay(char, true, wrong)
+                for wrong, letters in letters_of.items():
+                    found.setdefault(letters[lead] + letters[trail], []).append((true, wrong, char))
     return found
 
 
