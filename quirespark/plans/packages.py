@@ -78,9 +78,23 @@ def met_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.refinements(p.package_elements(p.entries(_files(spark)))).where("is_orphan").select("pub_id", "target", "property", "value")
 
 
+_NAV = """<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="landmarks"><ol><li><a href="x">x</a></li></ol></nav><nav epub:type="toc"><ol><li id="a"><a href="text/c%201.xhtml">One</a>
+<ol><li><a href="text/c%201.xhtml#s">Part   one</a></li><li id="a"><a href="again">circle</a></li></ol></li><li><span>Unlinked</span><ol><li><a href="../../out">Out</a></li></ol></li></ol></nav></body></html>"""
+_NCX = """<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap><navPoint id="p1"><navLabel><text>First</text></navLabel><content src="a.xhtml"/><navPoint id="p2"><navLabel><text>Below</text></navLabel><content src="a.xhtml#b"/></navPoint></navPoint></navMap></ncx>"""
+_OLD = """<package xmlns="http://www.idpf.org/2007/opf" version="2.0"><metadata/><manifest><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/></manifest><spine toc="ncx"/></package>"""
+
+
+def cnv_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC11, CNV3–6, TRE7, SRT5, JON8: the tables of contents of a package of the third and one of the second version."""
+    new = _archive([(p.CONTAINER, _CONTAINER.encode()), ("OEBPS/content.opf", _OPF.encode()), ("OEBPS/nav.xhtml", _NAV.encode())])
+    old = _archive([(p.CONTAINER, _CONTAINER.encode()), ("OEBPS/content.opf", _OLD.encode()), ("OEBPS/toc.ncx", _NCX.encode())])
+    entries = p.entries(spark.createDataFrame([("new", bytearray(new)), ("old", bytearray(old))], "pub_id string, content binary"))
+    return p.navigation(entries, p.manifest(p.package_elements(entries), entries))
+
+
 _BIG = {"src_entries": " REPLACE (CAST(len AS BIGINT) AS len)", "met_read": " REPLACE (CAST(n_dates AS BIGINT) AS n_dates, CAST(n_bad_dates AS BIGINT) AS n_bad_dates)"}
 _OPF_LEN = len(_OPF.encode())
-QUERIES = {f.__name__: f for f in (src_entries, src_paths, src_manifest, src_spine, met_titles, met_read, met_orphans)}
+QUERIES = {f.__name__: f for f in (src_entries, src_paths, src_manifest, src_spine, met_titles, met_read, met_orphans, cnv_contents)}
 SQL = {
     name: f"SELECT *{_BIG.get(name, '')} FROM (VALUES {_listed(*rows)}) AS t({columns})"
     for name, columns, rows in (
@@ -96,6 +110,10 @@ SQL = {
         ("src_spine", "pub_id, position, idref, path, is_linear, occurrence, problem", [("good", 0, "c1", "OEBPS/text/c 1.xhtml", True, 1, None), ("good", 1, "c2", "OEBPS/text/c2.xhtml", False, 1, None), ("good", 2, "c1", "OEBPS/text/c 1.xhtml", True, 2, "repeated"), ("good", 3, "none", None, True, 1, "unresolved")]),
         ("met_titles", "pub_id, xml_id, value, title_type, display_seq, repeated", [("good", "t2", "Second title", None, "2", "display-seq"), ("good", "t1", "First title", None, "1", ""), ("good", "t3", "Below", "subtitle", None, "")]),
         ("met_read", "pub_id, title, subtitle, identifier, language, authors, modified, n_dates, n_bad_dates, accessibility", [("good", "First title", "Below", "urn:isbn:9780000000001", "pt-BR", "Ann Author; Nobody Known", "2024-01-02T03:04:05Z", 2, 1, "schema:accessMode=textual")]),
+        ("cnv_contents", "pub_id, place, level, label, target, key, kind", [
+            ("new", 0, 1, "One", "OEBPS/text/c 1.xhtml", "OEBPS/text/c 1.xhtml", "nav"), ("new", 1, 2, "Part one", "OEBPS/text/c 1.xhtml", "OEBPS/text/c 1.xhtml#s", "nav"), ("new", 3, 2, "Out", None, None, "nav"),
+            ("old", 0, 1, "First", "OEBPS/a.xhtml", "OEBPS/a.xhtml", "ncx"), ("old", 1, 2, "Below", "OEBPS/a.xhtml", "OEBPS/a.xhtml#b", "ncx"),
+        ]),
         ("met_orphans", "pub_id, target, property, value", [("good", "gone", "role", "aut")]),
     )
 }

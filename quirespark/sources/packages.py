@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirespark.functions import kinds
-from quirespark.functions.paths import archive_path, directory
+from quirespark.functions.paths import archive_path, directory, reference_key
 from quirespark.functions.text import is_visible, optional_text
 
 c = F.col
@@ -236,3 +236,55 @@ def metadata(elements: DataFrame) -> DataFrame:
     for part in (title, identifier, authors):
         out = out.join(part.withColumnRenamed("pub_id", "jp"), c("pub_id") == c("jp"), "left").drop("jp")
     return out
+
+
+NAVIGATION_SCHEMA = "pub_id string, path string, kind string, place int, parent_place int, level int, label string, href string, entry_id string"
+_NCX = "application/x-dtbncx+xml"
+
+
+def navigation(entry_rows: DataFrame, items: DataFrame) -> DataFrame:
+    """SRC11, CNV3–6, TRE7, SRT5: pub_id, place, level, label, target, key, kind of the table of contents of each package.
+
+    The navigation document counts, without one that holds entries the NCX. An entry inside one of the same identifier is
+    left out with all below it; entries without a link give no row, but those below them keep their level.
+    """
+
+    def read(pub: str, path: str, kind: str, data: bytes | None) -> Iterator[tuple]:
+        root = parsed_xml(data)
+        if root is None:
+            return
+        if kind == "nav":
+            tops = [x for x in root.iter() if isinstance(x.tag, str) and x.tag.endswith("nav") and "toc" in (x.get("{http://www.idpf.org/2007/ops}type") or x.get("role") or "").lower().replace("doc-", "").split()]
+            stack = [(li, None, 1, frozenset()) for top in tops[:1] for ol in top if _name(ol) == "ol" for li in reversed(list(ol)) if _name(li) == "li"]
+        else:
+            stack = [(x, None, 1, frozenset()) for top in root.iter() if _name(top) == "navMap" for x in reversed(list(top)) if _name(x) == "navPoint"]
+        place = 0
+        while stack:
+            x, parent, level, above = stack.pop()
+            own = x.get("id")
+            if own is not None and own in above:
+                continue
+            if kind == "nav":
+                link = next((y for y in x if _name(y) in ("a", "span")), None)
+                label, href = ("", None) if link is None else ("".join(link.itertext()), link.get("href"))
+                below = [li for ol in x if _name(ol) == "ol" for li in ol if _name(li) == "li"]
+            else:
+                label = "".join("".join(y.itertext()) for y in x if _name(y) == "navLabel")
+                href = next((y.get("src") for y in x if _name(y) == "content"), None)
+                below = [y for y in x if _name(y) == "navPoint"]
+            yield pub, path, kind, place, parent, level, " ".join(label.split()), href, own
+            stack += [(y, place, level + 1, above | {own} if own is not None else above) for y in reversed(below)]
+            place += 1
+
+    nav = F.array_contains(F.split("properties", r"\s+"), "nav")
+    wanted = items.where("exists").select(c("pub_id").alias("ip"), c("path").alias("ipath"), F.when(nav, "nav").when(c("media_type") == _NCX, "ncx").alias("kind")).where("kind IS NOT NULL")
+    held = entry_rows.where("problem IS NULL").join(wanted, (c("pub_id") == c("ip")) & (c("path") == c("ipath"))).select("pub_id", "path", "kind", "data")
+    rows = _rows(held, NAVIGATION_SCHEMA, read).where("href IS NOT NULL")
+    best = rows.groupBy(c("pub_id").alias("bp")).agg(F.min(F.struct("kind", "path")).alias("best"))  # nav sorts before ncx
+    chosen = rows.join(best, (c("pub_id") == c("bp")) & (c("path") == c("best.path")) & (c("kind") == c("best.kind")))
+    key = reference_key(c("path"), c("href"))
+    return chosen.select("pub_id", "place", "level", "label", key["target"].alias("target"), key["key"].alias("key"), "kind")
+
+
+def _name(x: Any) -> str:
+    return x.tag.rpartition("}")[2] if isinstance(x.tag, str) else ""
