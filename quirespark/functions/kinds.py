@@ -94,7 +94,8 @@ def saturating_sum(value: Column) -> Column:
 
 def preserved_percentage(kept: Column, total: Column) -> Column:
     """SCL44: a share in percent with six places, cut off, not rounded; 100 of nothing."""
-    scaled = F.floor(kept.cast("decimal(20,0)") * F.lit(100_000_000).cast("decimal(12,0)") / total.cast("decimal(20,0)"))
+    hundredfold = kept.cast("decimal(20,0)") * F.lit(100_000_000).cast("decimal(12,0)")
+    scaled = F.call_function("div", hundredfold, total.cast("decimal(20,0)"))  # "/" would round to some places first
     return F.when(total == 0, F.lit(100.0)).otherwise(scaled.cast("double") / 1e6)
 
 

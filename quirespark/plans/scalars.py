@@ -144,7 +144,7 @@ def scl_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL43, SCL44, SCL53 over the left copy of the baseline."""
     kept = F.col("nodes") - F.col("lost")
     sums = table(spark, sf_dir, "baseline_left").groupBy("status").agg(
-        kinds.saturating_sum(F.col("imported_node_count") * F.lit(10**14).cast("bigint")).alias("huge"), F.sum("imported_node_count").alias("nodes"), F.sum(F.least("fidelity_lost_unit_count", "imported_node_count")).alias("lost")
+        kinds.saturating_sum(F.col("imported_node_count").cast("decimal(20,0)") * F.lit(10**14).cast("decimal(15,0)")).alias("huge"), F.sum("imported_node_count").alias("nodes"), F.sum(F.least("fidelity_lost_unit_count", "imported_node_count")).alias("lost")
     )
     length = kinds.scaled_length(F.struct(F.col("nodes").cast("double").alias("value"), F.lit("px").alias("unit")), F.lit(1.5))
     return sums.select("status", "huge", "nodes", "lost", kinds.preserved_percentage(kept, F.col("nodes")).alias("kept_percent"), length["value"].alias("scaled"), text.css_length(length["value"], length["unit"]).alias("css"))
